@@ -1,0 +1,101 @@
+"""Rules by which a document is kept: those of Gopher (Rae et al. 2021, A1.1), with stop
+words by language, and limits on runs of signs, on capitals and on stuttered words. Built-in expressions only."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SPACE = r" \t\n\r\f"
+MIN_WORDS, MAX_WORDS = 50, 100_000
+MIN_MEAN, MAX_MEAN = 3, 10
+MAX_SIGNS, MIN_ALPHA, MAX_CAPS, MAX_STUTTER = 0.1, 0.8, 0.3, 0.2
+MAX_BULLETS, MAX_ELLIPSES = 0.9, 0.3
+MIN_STOP = 2
+SIGNS = r"[#%&*$@^~=+_<>|]{3,}|#|\.\.\.|…"
+BULLET = r"^[ \t]*[-*•‣●]"
+ELLIPSIS = r"(\.\.\.|…)[ \t\r]*$"
+STOP = {
+    "en": "the be to of and that have with".split(),
+    "fr": "le la les de des et un une que dans".split(),
+    "de": "der die das und zu ein eine von mit den".split(),
+    "es": "el la los de que y en un una con".split(),
+}
+#: A language without a list of its own: a word of any list counts.
+OTHER = sorted({w for words in STOP.values() for w in words})
+
+
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("double")
+
+
+def _left(text: Column, pattern: str) -> Column:
+    """Characters left when the pattern's are taken out."""
+    return F.length(F.regexp_replace(text, pattern, "")).cast("double")
+
+
+def measures(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lists = F.coalesce(*(F.when(F.col("lang") == lang, F.array(*map(F.lit, words))) for lang, words in STOP.items()), F.array(*map(F.lit, OTHER)))
+    words = F.split(text, f"[{SPACE}]+")
+    stutter = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: a == b)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    return docs.select(
+        "*",
+        _count(text, f"[^{SPACE}]+").alias("words"),
+        _count(text, rf"\p{{L}}[^{SPACE}]*").alias("alpha_words"),  # one match a word that has a letter
+        _left(text, f"[{SPACE}]+").alias("word_chars"),
+        _count(text, SIGNS).alias("signs"),
+        _left(text, r"[^\p{L}]+").alias("letters"),
+        _left(text, r"[^\p{Lu}]+").alias("capitals"),
+        F.size(F.filter(stutter, lambda x: x)).cast("double").alias("stutter"),
+        F.size(lines).cast("double").alias("lines"),
+        F.size(F.filter(lines, lambda x: x.rlike(BULLET))).cast("double").alias("bullets"),
+        F.size(F.filter(lines, lambda x: x.rlike(ELLIPSIS))).cast("double").alias("ellipses"),
+        F.size(F.array_intersect(F.split(F.lower(text), r"[^\p{L}]+"), lists)).alias("stop"),
+    )
+
+
+def keep() -> Column:
+    c = F.col
+    return (
+        c("words").between(MIN_WORDS, MAX_WORDS)
+        & c("word_chars").between(MIN_MEAN * c("words"), MAX_MEAN * c("words"))
+        & (c("signs") <= MAX_SIGNS * c("words"))
+        & (c("alpha_words") >= MIN_ALPHA * c("words"))
+        & (c("capitals") <= MAX_CAPS * c("letters"))
+        & (c("stutter") <= MAX_STUTTER * c("words"))
+        & (c("bullets") <= MAX_BULLETS * c("lines"))
+        & (c("ellipses") <= MAX_ELLIPSES * c("lines"))
+        & (c("stop") >= MIN_STOP)
+    )
+
+
+def quality_filter(docs: DataFrame) -> DataFrame:
+    """The documents that keep all rules, each once and unchanged."""
+    return measures(docs).filter(keep()).select(docs.columns)
+
+
+def quality_sql() -> str:
+    lists = " ".join(f"when '{lang}' then {words!r}" for lang, words in STOP.items())
+    count = "len(regexp_extract_all({}, '{}'))".format
+    lines = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')"
+    left = "length(regexp_replace(coalesce(text, ''), '{}', '', 'g'))".format
+    text = "coalesce(text, '')"
+    split = f"string_split_regex({text}, '[{SPACE}]+')"
+    return f"""
+with m as (select *, {count(text, f'[^{SPACE}]+')} as words,
+    {count(text, rf'\p{{L}}[^{SPACE}]*')} as alpha_words, {left(f'[{SPACE}]+')} as word_chars,
+    {count(text, SIGNS)} as signs, {left(r'[^\p{L}]+')} as letters, {left(r'[^\p{Lu}]+')} as capitals,
+    len(list_filter(list_zip({split}, ({split})[2:]), lambda x: x[1] = x[2])) as stutter,
+    len({lines}) as lines,
+    len(list_filter({lines}, lambda x: regexp_matches(x, '{BULLET}'))) as bullets,
+    len(list_filter({lines}, lambda x: regexp_matches(x, '{ELLIPSIS}'))) as ellipses,
+    len(list_distinct(list_intersect(string_split_regex(lower({text}), '[^\\p{{L}}]+'),
+        case lang {lists} else {OTHER!r} end))) as stop
+  from documents)
+select doc_id, text, lang, source, n_chars from m
+where words between {MIN_WORDS} and {MAX_WORDS} and word_chars between {MIN_MEAN} * words and {MAX_MEAN} * words
+  and signs <= {MAX_SIGNS}::double * words and alpha_words >= {MIN_ALPHA}::double * words
+  and capitals <= {MAX_CAPS}::double * letters and stutter <= {MAX_STUTTER}::double * words and bullets <= {MAX_BULLETS}::double * lines
+  and ellipses <= {MAX_ELLIPSES}::double * lines and stop >= {MIN_STOP}"""

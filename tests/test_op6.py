@@ -1,0 +1,41 @@
+import duckdb
+
+import __spark_entry__ as e
+from llm.quality import quality_filter
+
+SF = "/root/testdata/sf0.01"
+NAME = "op6_quality_filter"
+
+
+def test_rules(spark):
+    good = "the river and the hill lay quiet under that long sky " * 6
+    rows = [
+        (1, good, "en"),
+        (2, good.upper(), "en"),
+        (3, good.replace(" ", "### "), "en"),
+        (4, good.replace(" ", " | "), "en"),
+        (5, "the and of", "en"),
+        (6, "la rivière et la colline dormaient sous le ciel gris " * 6, "fr"),
+        (7, "river hill quiet under long " * 12, "en"),
+        (8, None, "en"),
+        (10, " ".join(w for w in good.split() for _ in range(5)), "en"),
+        (9, good, "xx"),
+    ]
+    got = quality_filter(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 6, 9]
+
+
+def test_whole_table_as_oracle(spark):
+    got = e.queries()[NAME](spark, SF)
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = db.sql(e.oracle_sql()[NAME])
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_labels(spark):
+    kept = {r.doc_id for r in e.queries()[NAME](spark, SF).collect()}
+    labels = duckdb.sql(f"select l.doc_id, quality, n_chars from '{SF}/labels.parquet' l join '{SF}/documents.parquet' d using (doc_id)").fetchall()
+    assert not [i for i, q, _ in labels if q == 0 and i in kept]
+    assert not [i for i, q, n in labels if q == 1 and n > 600 and i not in kept]
