@@ -1,0 +1,40 @@
+import random
+
+import __spark_entry__ as e
+from llm.near import near_duplicates, shingles
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_near_copies(spark):
+    r = random.Random(1)
+    one, two = (" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(300)) for _ in range(2))
+    words = one.split()
+    words[150] = "changed"
+    rows = [(7, one), (3, " ".join(words)), (9, one.upper() + "!"), (4, two), (5, None), (6, ""), (8, "a b"), (10, "A, b")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in got.collect()) == [3, 4, 5, 6, 8]
+
+
+def test_long_chain(spark):
+    """Each is near the next one only; all are one component."""
+    r = random.Random(2)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(900)]
+    rows = [(i * 7 % 41, " ".join(words[i * 15 : i * 15 + 300])) for i in range(1, 40)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [x.doc_id for x in got.collect()] == [min(i for i, _ in rows)]
+
+
+def test_whole_table(spark):
+    """Against all pairs: those of a similarity over 0.9 are together, and none is dropped that is far from all others."""
+    docs = {x.doc_id: set(shingles(x.text).tolist()) for x in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    kept = {x.doc_id for x in e.queries()["op5_near_duplicates"](spark, SF).collect()}
+    near = dict.fromkeys(docs, 0.0)
+    for a, x in docs.items():
+        for b, y in docs.items():
+            if b < a and min(len(x), len(y)) > 0.3 * max(len(x), len(y)) and (n := len(x & y)):
+                j = n / (len(x) + len(y) - n)
+                near[a] = max(near[a], j)
+                near[b] = max(near[b], j)
+                assert j < 0.9 or not {a, b} <= kept
+    assert not [i for i in docs if i not in kept and near[i] < 0.5]
