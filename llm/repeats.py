@@ -1,0 +1,34 @@
+"""Repeated lines: of each line's occurrences over the whole table the first one stays, by
+doc_id and place. Built-in expressions only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """Every document, its text without the lines that occurred before; empty lines stay."""
+    key = F.trim("line")
+    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(key != "")
+    # two hashes of different input stand for the line, so that its text isn't shuffled
+    each = each.select("doc_id", "at", F.xxhash64(key).alias("h"), F.xxhash64(F.reverse(key), F.length(key)).alias("g"))
+    first = Window.partitionBy("h", "g").orderBy("doc_id", "at")
+    gone = each.withColumn("n", F.row_number().over(first)).filter("n > 1").groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
+    done = docs.join(gone, "doc_id", "left").withColumn("text", text)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def repeats_sql() -> str:
+    return """
+with split as (select doc_id, string_split(text, chr(10)) as lines from documents where text is not null),
+each as (select doc_id, unnest(generate_series(1, len(lines))) as pos, unnest(lines) as line from split),
+numbered as (select *, row_number() over (partition by trim(line) order by doc_id, pos) as n from each),
+kept as (select doc_id, string_agg(line, chr(10) order by pos) as text from numbered
+  where n = 1 or trim(line) = '' group by doc_id)
+select d.doc_id, case when d.text is null then null else coalesce(k.text, '') end as text, d.lang, d.source,
+  case when d.text is null then null else length(coalesce(k.text, '')) end as n_chars
+from documents d left join kept k using (doc_id)"""

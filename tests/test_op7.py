@@ -1,0 +1,21 @@
+import duckdb
+
+import __spark_entry__ as e
+from llm.repeats import repeated_lines
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_lines(spark):
+    rows = [(2, "a\nb\n\na", 6), (1, "b \nc", 4), (3, "a\nc", 3), (4, None, None), (5, "\n\n", 2)]
+    got = repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"))
+    assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {1: ("b \nc", 4), 2: ("a\n", 2), 3: ("", 0), 4: (None, None), 5: ("\n\n", 2)}
+
+
+def test_whole_table_as_oracle(spark):
+    got = e.queries()["op7_repeated_lines"](spark, SF)
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = db.sql(e.oracle_sql()["op7_repeated_lines"])
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
