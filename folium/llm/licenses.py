@@ -39,30 +39,46 @@ THRESHOLD = 0.8
 #: A word in the given text, whose A-Z are not yet lower-cased.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BEFORE, _AFTER = r"(?<![0-9A-Za-z\x{80}-\x{10FFFF}]%s)", r"(?![0-9A-Za-z\x{80}-\x{10FFFF}])"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _lower(text: Column) -> Column:
+    """Lower case for matching words of a-z and digits: the two signs beyond ASCII whose lower case has such letters are put out of the way."""
+    return F.lower(F.regexp_replace(text, "[\u0130\u212A]", "\u00FF"))
+
+
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(RAW_WORD), 0)
+    return F.regexp_extract_all(_lower(text), F.lit(RAW_WORD), 0)
 
 
 def _literal(words) -> Column:
     return F.array(*map(F.lit, words)).cast("array<string>")
 
 
-def _blocks(text: Column, vocabulary: list[str], least: int) -> Column:
+def _split(text: Column) -> Column:
+    """All words of a text, and an empty one at an end that has none: cheaper than taking the words out one by one."""
+    return F.split(_lower(text), _GAP)
+
+
+def _lines(text: Column, tokens: list[str]) -> Column:
+    """The lines that hold one of the tokens as a word."""
+    pattern = rf"(?i){_BEFORE % ''}(?:{'|'.join(tokens)}){_AFTER}"
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(pattern))
+
+
+def _blocks(lines: Column, vocabulary: list[str], least: int) -> Column:
     """Of each line with enough of the vocabulary: its distinct tokens of it, in the
     vocabulary's order, and the number of all its distinct tokens."""
-    # most lines hold no template word pair; a line is worth tokenising if it has a word of each of several templates' rarest
-    lines = F.transform(F.split(text, "\n"), lambda x: F.array_distinct(_words(x)))
-    found = F.transform(lines, lambda w: F.struct(F.array_intersect(_literal(vocabulary), w).alias("hits"), F.size(w).alias("n")))
+    words = F.transform(lines, lambda x: F.array_distinct(_words(x)))
+    found = F.transform(words, lambda w: F.struct(F.array_intersect(_literal(vocabulary), w).alias("hits"), F.size(w).alias("n")))
     return F.filter(found, lambda b: F.size(b["hits"]) >= least)
 
 
 def frequencies(docs: DataFrame, templates: dict[str, str]) -> dict[str, int]:
     """Documents of the table that hold each token of the templates; as many rows as tokens."""
     vocabulary = sorted({w for t in templates.values() for w in t.split()})
-    held = docs.select(F.explode(F.array_intersect(_literal(vocabulary), _words(F.col("text")))).alias("token"))
+    held = docs.select(F.explode(F.array_intersect(_split(F.col("text")), _literal(vocabulary))).alias("token"))
     counted = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}
     return {w: counted.get(w, 0) for w in vocabulary}
 
@@ -80,25 +96,28 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases
         common = F.array_intersect(_literal(t[: len(t) - least + 1]), block["hits"])
         first = F.element_at(common, 1)
         i, j = F.array_position(_literal(t), first), F.array_position(block["hits"], first)  # from 1
-        enough = (F.size(common) > 0) & (block["n"] >= least) & (1 + F.least(F.lit(len(t)) - i, block["n"] - j) >= least)
-        return F.when(enough, F.size(F.array_intersect(_literal(t), block["hits"])) / F.lit(float(len(t))))
+        passes = (F.size(common) > 0) & (block["n"] >= least) & (1 + F.least(F.lit(len(t)) - i, block["n"] - j) >= least)
+        shared = F.size(F.array_intersect(_literal(t), block["hits"]))
+        return F.when(passes & (shared >= least), shared / F.lit(float(len(t))))
 
-    def here(phrase: list[str], i: Column) -> Column:
-        return F.slice(words, i + 1, len(phrase)) == _literal(phrase)
+    def places(words: Column, phrase: list[str]) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.slice(words, i + 1, len(phrase)) == _literal(phrase))
 
     text = F.coalesce("text", F.lit(""))
-    pattern = {p: r"(?i)(?<![0-9A-Za-z\x{80}-\x{10FFFF}])" + _GAP.join(p.split()) + r"(?![0-9A-Za-z\x{80}-\x{10FFFF}])" for p in phrases}
+    pattern = {p: "(?i)" + _GAP.join([w + _BEFORE % w if i == 0 else w for i, w in enumerate(p.split())]) + _AFTER for p in phrases}
     counts = [F.regexp_count(text, F.lit(x)) for x in pattern.values()]
-    base = docs.select("doc_id", text.alias("text"), F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), *(c.cast("long").alias(f"c{i}") for i, c in enumerate(counts)))
+    base = docs.select("doc_id", text.alias("text"), _split(text).alias("words"), *(c.cast("long").alias(f"c{i}") for i, c in enumerate(counts)))
     n_base = sum((F.col(f"c{i}") for i in range(len(counts))), F.lit(0).cast("long"))
-    base = base.withColumn("n_base", n_base).withColumn("blocks", _blocks(F.col("text"), order, min(needed.values())))
+    prefixes = sorted({w for label, t in ordered.items() for w in t[: len(t) - needed[label] + 1]})
+    ends = sum((F.when(F.element_at("words", i) == "", 1).otherwise(0) for i in (1, -1)), F.lit(0))
+    base = base.withColumn("n_base", n_base).withColumn("n_words", F.greatest(F.size("words") - ends, F.lit(0)).cast("long"))
+    base = base.withColumn("lines", F.when(F.arrays_overlap("words", _literal(prefixes)), _lines(F.col("text"), prefixes)).otherwise(_literal([])))
+    base = base.withColumn("blocks", _blocks(F.col("lines"), order, min(needed.values())))
     best = {label: F.array_max(F.transform("blocks", partial(shares, label))) for label in ordered}
-    words = _words(F.col("text"))
-    starts = F.when(
-        F.col("n_base") > 0,
-        F.array_sort(F.flatten(F.array(*(F.filter(F.sequence(F.lit(0), F.size(words) - 1), partial(here, p.split())) for p in phrases)))),
-    )
-    base = base.select("doc_id", "n_words", "n_base", *(f"c{i}" for i in range(len(counts))), starts.alias("starts"), *(F.when(b >= threshold - 1e-9, b).alias(f"t{i}") for i, b in enumerate(best.values())))
+    # the words go through a lambda variable, else they would be taken from the text again for each place
+    found = F.transform(F.array(_words(F.col("text"))), lambda w: F.flatten(F.array(*(places(w, p.split()) for p in phrases))))
+    starts = F.when(F.col("n_base") > 0, F.array_sort(F.element_at(found, 1)))
+    base = base.select("doc_id", "n_words", "n_base", *(f"c{i}" for i in range(len(counts))), starts.alias("starts"), *(b.alias(f"t{i}") for i, b in enumerate(best.values())))
     base_labels = [F.when(F.col(f"c{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())]
     method = [F.when(F.col(f"t{i}").isNotNull(), F.lit(label)) for i, label in enumerate(best)]
     joined = lambda xs: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*xs)))), ",")
