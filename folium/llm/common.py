@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, 9, 10, 11, 12, 13]] = False
+#: Bytes of letters: A-Z, a-z and all bytes of signs beyond ASCII.
+_LETTER = np.array([x >= 128 or chr(x).isalpha() for x in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x100000001B3)
@@ -47,18 +49,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes and each word's start and end."""
+def word_bounds(text: bytes, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes and each word's start and end; of runs of letters if asked for."""
     b = np.frombuffer(text, np.uint8)
     inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = _IN_WORD[b]
+    inside[1:-1] = (_LETTER if letters else _IN_WORD)[b]
     edges = np.flatnonzero(np.diff(inside))
     return b, edges[::2], edges[1::2]
 
 
-def word_hashes(text: bytes, lower: bool) -> np.ndarray:
+def word_hashes(text: bytes, lower: bool, letters: bool = False) -> np.ndarray:
     """A 64-bit hash of each word of a text; ``lower`` folds A-Z only."""
-    b, start, end = word_bounds(text)
+    b, start, end = word_bounds(text, letters)
     if not len(start):
         return np.empty(0, np.uint64)
     if lower:
@@ -70,7 +72,7 @@ def word_hashes(text: bytes, lower: bool) -> np.ndarray:
     origin = np.repeat(start, np.diff(np.append(start, len(b))))
     place = np.arange(start[0], len(b)) - origin
     tail = b[start[0] :]
-    inside = _IN_WORD[tail]
+    inside = (_LETTER if letters else _IN_WORD)[tail]
     place[~inside] = 0
     value = (tail.astype(np.uint64) + np.uint64(1)) * powers[place]
     value[~inside] = 0

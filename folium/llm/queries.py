@@ -8,11 +8,15 @@ from .chat import chat_query
 from .common import table
 from .licenses import license_scan, license_sql
 from .mixing import mix_sources, mixing_sql
+from .quality import score_quality
+from .toxicity import score_toxicity
 
 _MIX = ["doc_id", "size", "source_size", "target", "taken"]
 QUERIES = {
+    "op1_toxicity": lambda spark, sf_dir: score_toxicity(table(spark, sf_dir), table(spark, sf_dir, "labels")),
     "op2_audio": lambda spark, sf_dir: audio_query(table(spark, sf_dir)),
     "op3_chat": chat_query,
+    "op6_quality": lambda spark, sf_dir: score_quality(table(spark, sf_dir), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted"),
     "op8_bpe": lambda spark, sf_dir: bpe_query(table(spark, sf_dir)),
     "op9_mixing": lambda spark, sf_dir: mix_sources(table(spark, sf_dir)).select(_MIX),
     "op10_licenses": lambda spark, sf_dir: license_scan(table(spark, sf_dir)),
