@@ -117,6 +117,14 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS
     return full.select("doc_id", "source", "size", "source_size", "target", words(F.element_at("seats", -1)).cast("long").alias("taken"), by_shard.alias("taken_by_shard"))
 
 
+def take(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: each as often as the mix takes it, rounded to whole documents.
+    Documents that the mix doesn't reach, and those without words, are not in it."""
+    times = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
+    taken = mix_sources(docs, **options).select("doc_id", times.alias("_times")).filter("_times > 0").groupBy("doc_id").agg(F.max("_times").alias("_times"))
+    return docs.join(taken, "doc_id").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
 def mixing_sql(block_words: int = BLOCK_WORDS, shards: int = SHARDS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> str:
     """The whole mix in DuckDB. Its capping goes round by round, its seats by listing quotients near the divisor's."""
     return rf"""
