@@ -169,4 +169,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with the columns they had."""
-    return score_quality(docs, labels).filter("predicted = 1").select(docs.columns)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    return score_quality(rows, labels).filter("predicted = 1").select("row.*")
