@@ -265,9 +265,8 @@ def substring_query(docs: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their columns; a text with repeats is its kept words, others stay as they are."""
-    row = docs.select("doc_id", "text", F.struct("*").alias("row"))  # names of the operator's own can't clash in there
-    done = without_repeats(row).select("row.*", F.col("kept").alias("_kept"))
-    done = done.withColumn("text", F.col("_kept"))
+    others = [c for c in docs.columns if c != "text"]  # packed, so that names of the operator's own can't clash
+    done = without_repeats(docs.select("doc_id", "text", F.struct(*others).alias("row"))).select("row.*", F.col("kept").alias("text"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(docs.columns)
