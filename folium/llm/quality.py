@@ -170,4 +170,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with the columns they had."""
     rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    return score_quality(rows, labels).filter("predicted = 1").select("row.*")
+    # a filter would be pushed under the projection of the statistics and compute them again for each rule; a generator isn't
+    kept = F.explode(F.when(F.col("predicted") == 1, F.array("row")))
+    return score_quality(rows, labels).select(kept.alias("row")).select("row.*")
