@@ -314,6 +314,27 @@ def test_neighbours(spark):
     assert [r.vec_id for r in ann.nearest(df.filter("vec_id in (0, 7)")).collect()] == [7]
 
 
+@pytest.mark.parametrize("kind", ["tight groups", "far from zero", "lengths apart"])
+def test_neighbours_are_exact_on_any_rows(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 17))
+    if kind == "tight groups":
+        x = x[rng.integers(0, 3, 3000)] + 1e-4 * x
+    elif kind == "far from zero":
+        x += 1e5
+    else:
+        x *= np.exp(2 * rng.standard_normal((3000, 1)))
+    x[1500:1520] = x[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, ann.nearest(df, rerank=20).collect()))
+    expected = []
+    for q in range(0, 3000, 100):
+        score = np.sqrt(np.cumsum((x - x[q]) ** 2, axis=1)[:, -1])
+        score[q] = np.inf
+        expected += [(q, n + 1, int(i), float(score[i])) for n, i in enumerate(np.lexsort((np.arange(3000), score))[:10])]
+    assert got == expected
+
+
 def test_parallel_error_is_penalised():
     x = np.random.default_rng(2).standard_normal((2000, 16))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
