@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from folium.operators import html, paths
@@ -21,6 +22,17 @@ def test_transform_is_ordered_and_undone():
     assert html.render(doc) == before
 
 
+def test_pages_are_handed_on_in_pieces():
+    pages = [f"<p>{i} said. " + "Words. " * (i % 7) * 3000 for i in range(60)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages)], ["page_id", "html"])
+    pieces = list(html._mapped(lambda x: html.transform(x), pa.string(), "html", "html")([batch]))
+    assert max(p.nbytes for p in pieces) < 12 * html.PIECE < sum(p.nbytes for p in pieces)
+    rows = pa.Table.from_batches(pieces).to_pydict()
+    assert rows["page_id"] == list(range(len(pages))) and rows["html"] == [None if x is None else html.transform(x) for x in pages]
+    events = list(html._mapped(html.body_events, pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())])), "html", "events")([batch]))
+    assert len(events) == len(pieces) and sum(map(len, events)) == len(pages)
+
+
 def test_preserved_suffix_is_checked():
     with pytest.raises(ValueError):
         paths.PathOptions(preserve=(".EPUB",))
