@@ -42,24 +42,33 @@ def replace_in_order(text: Column, pairs) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])) if p[0] else t, pairs, text)
 
 
+def _where(text: Column, signs: tuple[str, ...], step) -> Column:
+    """The step, only for texts that have one of the signs. A lambda binds the text, so that a chain of steps isn't written out twice for each."""
+
+    def run(t: Column) -> Column:
+        return F.when(reduce(lambda a, b: a | b, (F.contains(t, F.lit(x)) for x in signs)), step(t)).otherwise(t)
+
+    return F.element_at(F.transform(F.array(text), run), 1)
+
+
+def _replaced(t: Column, steps) -> Column:
+    return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, t)
+
+
 def smart_punctuation(text: Column) -> Column:
-    """Dashes, ellipses, fractions, signs and curly quotes of one text node."""
-    steps = [
-        ("---", "—"),
-        ("--", "–"),
-        (r"\.\.\.|\. \. \.", "…"),
-        (r"(?<![0-9/])1/2(?![0-9/])", "½"),
-        (r"(?<![0-9/])1/4(?![0-9/])", "¼"),
-        (r"(?<![0-9/])3/4(?![0-9/])", "¾"),
-        (r"(?i)\(c\)", "©"),
-        (r"(?i)\(r\)", "®"),
-        (r"(?i)\(tm\)", "™"),
-        (r"(?<![^\s(\[{–—])\"(?=\S)", "“"),
-        ("\"", "”"),
-        (r"(?<![^\s(\[{–—“])'(?=\S)(?![0-9]0s)", "‘"),
-        ("'", "’"),
-    ]
-    return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text)
+    """Dashes, ellipses, fractions, signs and curly quotes of one text node. Patterns begin with the sign itself, what must not stand before it follows."""
+    dashes = [("---", "—"), ("--", "–")]
+    fractions = [(rf"{a}(?<![0-9/]{a})/{b}(?![0-9/])", sign) for a, b, sign in ((1, 2, "½"), (1, 4, "¼"), (3, 4, "¾"))]
+    signs = [(r"\((?i:c)\)", "©"), (r"\((?i:r)\)", "®"), (r"\((?i:tm)\)", "™")]
+    double = (r"\"(?<![^\s(\[{–—]\")(?=\S)", "“")
+    single = (r"'(?<![^\s(\[{–—“]')(?=\S)(?![0-9]0s)", "‘")
+    t = F.make_valid_utf8(text)
+    t = replace_in_order(t, dashes)
+    t = _where(t, ("...", ". . ."), lambda t: _replaced(t, [(r"\.\.\.|\. \. \.", "…")]))
+    t = _where(t, ("1/2", "1/4", "3/4"), lambda t: _replaced(t, fractions))
+    t = _where(t, ("(",), lambda t: _replaced(t, signs))
+    t = _where(t, ("\"",), lambda t: F.replace(_replaced(t, [double]), F.lit("\""), F.lit("”")))
+    return _where(t, ("'",), lambda t: F.replace(_replaced(t, [single]), F.lit("'"), F.lit("’")))
 
 
 def words_longer_than(text: Column, n_bytes: int) -> Column:

@@ -1,11 +1,14 @@
 """Trees, archives and paths on small cases."""
 
 import io
+import random
 import zipfile
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from folium.functions import text as t
 from folium.operators import html, paths
 from folium.sources import books
 
@@ -38,6 +41,20 @@ def test_preserved_suffix_is_checked():
         paths.PathOptions(preserve=(".EPUB",))
 
 
+def test_punctuation_skips_texts_without_signs(spark):
+    r = random.Random(3)
+    bits = ["-", "--", ".", ". ", "1/2", "1/4", "3/4", "/", "1", "0s", "(c)", "(C)", "(R)", "(tm)", "(", "[", '"', "'", "“", "–", " ", "\n", "a", "é", "😀", "90s", "$1", "\\"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(500)] + [None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, text string")
+    for row in df.withColumn("new", t.smart_punctuation(F.col("text"))).collect():
+        expected = row.text
+        for p, sign in html._DASHES if row.text else ():
+            expected = p.sub(sign, expected)
+        assert row.new == expected
+    plan = df.select(t.smart_punctuation(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(" in plan and "regexp_replace(" not in plan.split("CASE WHEN")[0]
+
+
 def test_archives(spark, tmp_path):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
